@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import distinctive, mixing, repeated_lines, repetition, set_join, tokenizer
+from corpusmill.llm import distinctive, garbled, mixing, repeated_lines, repetition, set_join, tokenizer
 from corpusmill.sources.tables import pages, read_table
 
 
@@ -63,6 +63,14 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repaired(pages(spark, d, "text", "title", "description")).select("page_id", "field")
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repaired(pages(spark, d, "text", "title", "description"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(read_table(spark, d, "documents"))
 
