@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import distinctive, garbled, mixing, repeated_lines, repetition, set_join, tokenizer
+from corpusmill.llm import distinctive, garbled, language, mixing, repeated_lines, repetition, set_join, tokenizer
 from corpusmill.sources.tables import pages, read_table
 
 
@@ -71,6 +71,16 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.repaired(pages(spark, d, "text", "title", "description"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = pages(spark, d, "lang", "words", "blocks")
+    return language.mislabelled(rows, language.train(read_table(spark, d, "lang_sample"), pages=rows))
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    rows = pages(spark, d, "lang", "words", "blocks")
+    return language.languages(rows, language.train(read_table(spark, d, "lang_sample"), pages=rows))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(read_table(spark, d, "documents"))
 
