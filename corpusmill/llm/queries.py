@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import distinctive, garbled, language, mixing, repeated_lines, repetition, set_join, tokenizer
+from corpusmill.llm import distinctive, garbled, language, main_content, mixing, repeated_lines, repetition, residue, set_join, tokenizer
 from corpusmill.sources.tables import pages, read_table
 
 
@@ -81,6 +81,26 @@ def p5_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.languages(rows, language.train(read_table(spark, d, "lang_sample"), pages=rows))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.boilerplate_lines(pages(spark, d, "site", "blocks"))
+
+
+def p6_main(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's main body alone."""
+    rows = pages(spark, d, "site", "blocks", "text")
+    return repeated_lines.without_lines(rows, main_content.boilerplate_lines(rows))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(pages(spark, d, "site", "blocks", "text")).select("page_id")
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The pages with a text that are left for later work."""
+    rows = pages(spark, d, "site", "blocks", "text")
+    return rows.where(F.col("text").isNotNull()).select("page_id").join(residue.residue_pages(rows).select("page_id"), "page_id", "left_anti")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(read_table(spark, d, "documents"))
 
