@@ -7,6 +7,9 @@ run back to bytes in the encoding it was wrongly read with and reads them in the
 the bytes themselves prove the mapping (and the decoded characters must be usual in the corpus); for
 single-byte encodings the mapped pairs must be far more usual than those found.
 
+Garble that its bytes prove is counted as what it reads, not as what it shows, so that a site garbled
+throughout does not make its own pairs usual.
+
 Counts live in tables of fixed size (hashed pairs), so what is broadcast does not grow with the data.
 """
 
@@ -77,6 +80,64 @@ def _byte_of(outer: str) -> dict[int, int]:
     return out
 
 
+BYTES_OF = {outer: _byte_of(outer) for outer in {o for o, _ in MAPPINGS}}
+#: For each encoding, its characters as the characters of their bytes, and what a UTF-8 sequence looks like at least.
+AS_BYTES = {outer: {c: chr(b) for c, b in BYTES_OF[outer].items()} for outer in UTF8_READ_AS}
+SEQUENCE = {
+    outer: re.compile("[{}][{}]".format(*("".join(re.escape(chr(c)) for c, b in BYTES_OF[outer].items() if low <= b <= high) for low, high in ((0xC2, 0xF4), (0x80, 0xBF)))))
+    for outer in UTF8_READ_AS
+}
+LATIN = frozenset(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha())
+CYRILLIC = frozenset(map(chr, range(0x400, 0x460)))
+#: Characters above ASCII that a proved reading may have.
+READABLE = LATIN | CYRILLIC | frozenset(map(chr, [*range(0xA0, 0xC0), 0xD7, 0xF7, *range(0x2010, 0x2045), 0x20AC, 0x2116, 0x2122]))
+
+
+def _read_once(word: str) -> str | None:
+    """The word as UTF-8 if all its characters above ASCII are the bytes of whole sequences, or lost ones."""
+    spare = 3 * word.count(LOST) + word.count("?")
+    for outer in UTF8_READ_AS:
+        if SEQUENCE[outer].search(word):
+            table = AS_BYTES[outer]
+            new = "".join([c if c < "\x80" else table.get(ord(c), "\xff") for c in word]).encode("latin-1").decode("utf-8", "replace")
+            high = [c for c in new if c >= "\x80" and c != LOST]
+            if len(high) < (2 if outer.startswith("mac") else 1) or new.count(LOST) > spare or new == word:
+                continue
+            again = None if READABLE.issuperset(high) else _read_once(new)  # wrongly decoded twice
+            if again or READABLE.issuperset(high) and not (CYRILLIC.intersection(high) and any(c in LATIN or c.isascii() and c.isalpha() for c in new)):
+                return new
+    return None
+
+
+def reading(word: str) -> str:
+    """What a word reads whose bytes prove that it was decoded wrongly, once or more than once; any other word itself."""
+    for _ in range(4):
+        if (new := _read_once(word)) is None:
+            break
+        word = new
+    return word
+
+
+class Reader:
+    """Texts with their proved garble read; keeps what it has seen."""
+
+    def __init__(self):
+        self.known: dict[str, str] = {}
+
+    def word(self, word: str) -> str:
+        if (new := self.known.get(word)) is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            new = self.known[word] = reading(word)
+        return new
+
+    def text(self, text: str) -> str:
+        """The text with line ends and tabs as blanks."""
+        if text.isascii():
+            return text
+        return " ".join([w if w.isascii() else self.word(w) for w in text.replace("\n", " ").replace("\t", " ").split(" ")])
+
+
 def _climbs(word: str) -> int:
     """Places where an upper-case letter follows a lower-case one."""
     return sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
@@ -94,7 +155,8 @@ class Model:
         self.usual = chars >= max(2.0, 2e-4 * high)
         self.usual[:32] = False
         self.usual[0x80:0xA0] = False
-        self.bytes_of = {outer: _byte_of(outer) for outer in {o for o, _ in MAPPINGS}}
+        self.bytes_of = BYTES_OF
+        self.reader = Reader()
         self.words: dict[str, np.ndarray] = {}
         self.suspects: dict[str, bool] = {}
 
@@ -220,6 +282,7 @@ class Model:
         for k, line in enumerate(lines):
             if line.isascii() or not any([self.suspect(w, floor) for w in line.split(" ") if not w.isascii()]):
                 continue
+            done: set[str] = set()  # words restored in this line
             for _ in range(4):
                 if (hit := self.best(line, floor, least)) is None:
                     break
@@ -227,8 +290,12 @@ class Model:
                 outer, inner = MAPPINGS[hit[0]]
                 out, at = [], 0
                 for a, b in hit[1]:
-                    new = "".join(w if w.isascii() else self.mapped(w, outer, inner) or w for w in _parts(line[a:b]))
-                    out += [line[at:a], new]
+                    words = _parts(line[a:b])
+                    for i, w in enumerate(words):
+                        if not w.isascii() and not (inner == "utf-8" and self.gains(w)[hit[0]] <= 0 and (w in done or not self.segments(f" {w} ", floor))):
+                            words[i] = self.mapped(w, outer, inner) or w
+                            done.add(words[i])
+                    out += [line[at:a], "".join(words)]
                     at = b
                 new = "".join([*out, line[at:]])
                 if new == line:
@@ -236,7 +303,10 @@ class Model:
                 line = new
             lines[k] = line
         fixed = "\n".join(lines)
-        return garbled or LOST in text, fixed, LOST not in fixed
+        garbled = garbled or LOST in text
+        if garbled:  # no proved garble is left, be its pairs improbable or not
+            fixed = "".join([w if w.isascii() else self.reader.word(w) for w in _parts(fixed)])
+        return garbled, fixed, LOST not in fixed
 
 
 def _parts(run: str) -> list[str]:
@@ -252,15 +322,16 @@ def _parts(run: str) -> list[str]:
 
 
 def corpus_counts(rows: DataFrame, fields: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed character pairs and of characters over all fields of all rows."""
+    """Counts of hashed character pairs and of characters over all fields of all rows, proved garble as what it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, chars = np.zeros(PAIRS, np.int64), np.zeros(CHARS, np.int64)
+        reader = Reader()
         for b in batches:
             for column in b.columns:
                 values = column.to_pylist()
                 for start in range(0, len(values), 500):
-                    codes = _codes("\n".join(v for v in values[start : start + 500] if v))
+                    codes = _codes(reader.text("\n".join(v for v in values[start : start + 500] if v)))
                     if len(codes) > 1:
                         codes = _folded(codes)
                         pairs += np.bincount(_pair_index(codes), minlength=PAIRS)
@@ -280,7 +351,7 @@ def repaired(rows: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("
     """``key, field, restored, complete`` of every field that holds garbled text.
 
     ``restored`` is the field with every stretch mapped back that can be; ``complete`` says that nothing
-    was lost. A replacement character alone is garbled text too. Null and empty fields are none. ``floor``
+    was lost; no proved garble is left then. A replacement character alone is garbled text too. Null and empty fields are none. ``floor``
     is the share in the mutual information below which a pair is improbable, ``least`` the log-likelihood
     a single-byte mapping must gain on a line. Keys must be unique; an empty table gives an empty one.
     """
