@@ -52,6 +52,7 @@ FOLD[:0x530] = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(c
 
 FOLD[9:14] = 32
 LETTER = np.array([chr(c).isalpha() for c in range(CHARS)])
+CODE = np.arange(CHARS)
 
 
 def _folded(codes: np.ndarray) -> np.ndarray:
@@ -88,6 +89,7 @@ SEQUENCE = {
     for outer in UTF8_READ_AS
 }
 LATIN = frozenset(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha())
+MIXED = re.compile("[A-Za-zÀ-ž][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ž]")
 CYRILLIC = frozenset(map(chr, range(0x400, 0x460)))
 #: Characters above ASCII that a proved reading may have.
 READABLE = LATIN | CYRILLIC | frozenset(map(chr, [*range(0xA0, 0xC0), 0xD7, 0xF7, *range(0x2010, 0x2045), 0x20AC, 0x2116, 0x2122]))
@@ -151,10 +153,16 @@ class Model:
         self.log_pair = np.log((pairs + 0.3) / n).astype(np.float32)
         self.pair = (pairs / n).astype(np.float32)
         self.log_char = np.log((chars + 0.3) / m).astype(np.float32)
-        high = chars[128:].sum()
-        self.usual = chars >= max(2.0, 2e-4 * high)
+        least = np.full(CHARS, chars[128:].sum())  # what counts as usual is judged among letters of one script and among signs
+        for kind in (LETTER & (CODE < 0x250), (CODE >= 0x400) & (CODE < 0x530), ~LETTER):
+            least[kind] = chars[kind & (CODE > 127)].sum()
+        self.usual = chars >= np.maximum(2.0, 2e-4 * least)
+        #: In valid UTF-8, rare letters of Latin-1 and rare signs are as good.
+        self.good = self.usual.copy()
+        self.good[[FOLD[ord(c)] for c in READABLE if c < "\u0100" or c in "œŒŸ" or c > "\u2000"]] = True
         self.usual[:32] = False
         self.usual[0x80:0xA0] = False
+        self.good[:32] = self.good[0x80:0xA0] = False
         self.bytes_of = BYTES_OF
         self.reader = Reader()
         self.words: dict[str, np.ndarray] = {}
@@ -210,12 +218,14 @@ class Model:
                 g[j] = -6
             elif inner == "utf-8":
                 high = [c for c in new if c >= "\x80"]
-                good = sum(c != LOST and bool(self.usual[FOLD[ord(c) & (CHARS - 1)]]) for c in high)
+                good = sum(c != LOST and bool(self.good[FOLD[ord(c) & (CHARS - 1)]]) for c in high)
                 if len(high) - good and (again := self.mapped(new, outer, inner)) and LOST not in again:  # wrongly decoded twice
-                    high, good = [good], max(good, sum(c >= "\x80" and bool(self.usual[FOLD[ord(c) & (CHARS - 1)]]) for c in again))
+                    high, good = [good], max(good, sum(c >= "\x80" and bool(self.good[FOLD[ord(c) & (CHARS - 1)]]) for c in again))
                 g[j] = 5 * good - 1.25 * max(0, len(high) - good)
             elif new == word or plain:
                 g[j] = 0
+            elif MIXED.search(new) and not MIXED.search(word):
+                g[j] = -6
             else:
                 c = _folded(_codes(new))
                 usual = self.usual[c] | (c < 128)
@@ -293,7 +303,8 @@ class Model:
                     words = _parts(line[a:b])
                     for i, w in enumerate(words):
                         if not w.isascii() and not (inner == "utf-8" and self.gains(w)[hit[0]] <= 0 and (w in done or not self.segments(f" {w} ", floor))):
-                            words[i] = self.mapped(w, outer, inner) or w
+                            proved = w if inner == "utf-8" else self.reader.word(w)
+                            words[i] = proved if proved != w else self.mapped(w, outer, inner) or w
                             done.add(words[i])
                     out += [line[at:a], "".join(words)]
                     at = b

@@ -46,3 +46,11 @@ def test_lost_characters_are_not_complete(spark):
     got = garbled.repaired(spark.createDataFrame(rows, "page_id bigint, text string, title string, description string"))
     flags = {r.field: r.complete for r in got.where("page_id = 0").collect()}
     assert flags == {"text": False, "title": True}
+
+
+@pytest.mark.parametrize("word", ["œuvre", "naïf", "così", "Ægir", "verões", "oui—non"])
+def test_rare_letters_beside_much_cyrillic(spark, word):
+    rows = [(i, "Очень много русского текста стоит на всех этих страницах. " * 40, None, None) for i in range(200)]
+    rows += [(1000, _garble(word), None, None), (1001, "Plain words here.", None, None)]
+    got = garbled.repaired(spark.createDataFrame(rows, "page_id bigint, text string, title string, description string")).collect()
+    assert [tuple(r) for r in got] == [(1000, "text", word, True)]
