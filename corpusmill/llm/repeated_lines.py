@@ -93,6 +93,8 @@ def line_statistics(pages: DataFrame, least_pages: int = 5, share: float = 0.1,
     own = F.when(dense, 0).otherwise(k1)
     k2 = F.greatest(F.col("__loose") - own, F.lit(0)) + F.lit(0.5)
     n2 = F.lit(all_pages) - F.col("__dense_pages") - F.when(dense, 0).otherwise(n1) + F.lit(1.0)
+    # Where little outside is left, nothing says the line is usual there: pseudo pages keep the background far below ``share``.
+    n2 = F.greatest(n2, F.when(dense, n1 / F.lit(share)).otherwise(F.lit(0.0)))
     tested = lines.withColumn("outside_pages", k2 - 0.5).withColumn("llr", ratio(k1, n1, k2, F.greatest(n2, k2))).drop("__loose", "__dense_pages", "__most")
     tested = materialize(tested, "lines")
     bound = false_discovery_bound(tested, rate)
