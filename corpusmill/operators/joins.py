@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``big`` with ``small``, whose keys are unique.
 
     The size of ``small`` is counted first. Up to ``max_rows`` rows it is broadcast, so that no row
-    of ``big`` moves and a key holding a third of ``big`` does no harm. Beyond it, ``big`` gets a
-    random-free salt (a hash of the whole row) and ``small`` is replicated over ``salts`` values, so
-    that a hot key spreads over as many tasks. ``how``: inner, left, left_semi or left_anti. Null
+    of ``big`` moves and a key holding a third of ``big`` does no harm. Beyond it the keys that hold more
+    than a ``max_rows``-th of ``big`` are split off: they are fewer than ``max_rows``, so their rows of ``small`` are broadcast
+    as before, and only the other keys are shuffled. ``how``: inner, left, left_semi or left_anti. Null
     keys match nothing. An empty ``small`` gives what the join type says.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
-    salt = "__salt"
-    plain = [c for c, t in big.dtypes if not t.startswith("map")]
-    left = big.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
-    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, salt], how).drop(salt)
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    total = big.count()
+    hot = counts.where(F.col("__n") > max(1000, total // max_rows)).select(*on)
+    hot_small = F.broadcast(small.join(F.broadcast(hot), on, "left_semi"))
+    often, seldom = big.join(F.broadcast(hot), on, "left_semi"), big.join(F.broadcast(hot), on, "left_anti")
+    return often.join(hot_small, on, how).unionByName(seldom.join(small, on, how))

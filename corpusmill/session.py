@@ -16,11 +16,13 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can read.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local mode) a
-    temporary folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only in local mode (tests) a temporary folder of this
+    machine stands in for it; elsewhere a missing setting is an error, since executors would each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors can reach")
         base = "file://" + os.path.join(tempfile.gettempdir(), "corpusmill-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.joins import BROADCAST_ROWS
+from corpusmill.session import materialize
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def latest(rows: DataFrame, key: str = "page_id", order: str = "ingested_at", ma
     def first(df: DataFrame) -> DataFrame:
         return df.withColumn("__rn", F.row_number().over(window)).where("__rn = 1").drop("__rn")
 
-    dup = dup.persist()
+    dup = materialize(dup, "repeated")
     if (n := dup.limit(max_rows + 1).count()) > max_rows:
         return first(rows)
     if n == 0:
