@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import distinctive, garbled, language, main_content, mixing, repeated_lines, repetition, residue, set_join, tokenizer
+from corpusmill.operators.joins import lookup_join
 from corpusmill.sources.tables import pages, read_table
 
 
@@ -58,7 +59,7 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
         pairs, member = _sets(spark, d, field)
         ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
         links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-        rows = member.join(links, "class_id", "left").select(F.lit(field).alias("field"), F.col("id").alias("page_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+        rows = lookup_join(member, links, ["class_id"], "left").select(F.lit(field).alias("field"), F.col("id").alias("page_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
