@@ -83,22 +83,25 @@ def p5_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return main_content.boilerplate_lines(pages(spark, d, "site", "blocks"))
+    return main_content.boilerplate_lines(pages(spark, d, "site", "blocks", "links"))
 
 
 def p6_main(spark: SparkSession, d: str) -> DataFrame:
     """Each page's main body alone."""
-    rows = pages(spark, d, "site", "blocks", "text")
+    rows = pages(spark, d, "site", "blocks", "text", "links")
     return repeated_lines.without_lines(rows, main_content.boilerplate_lines(rows))
 
 
+_RESIDUE = ("site", "blocks", "text", "links", "words", "html_bytes")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_pages(pages(spark, d, "site", "blocks", "text")).select("page_id")
+    return residue.residue_pages(pages(spark, d, *_RESIDUE)).select("page_id")
 
 
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     """The pages with a text that are left for later work."""
-    rows = pages(spark, d, "site", "blocks", "text")
+    rows = pages(spark, d, *_RESIDUE)
     return rows.where(F.col("text").isNotNull()).select("page_id").join(residue.residue_pages(rows).select("page_id"), "page_id", "left_anti")
 
 

@@ -1,73 +1,41 @@
 """Template residue and error-page text (problem 7).
 
-Lines are counted by host and what recurs there is subtracted as boilerplate; what remains is the
-page's own text. A page is excluded when a placeholder, an unrendered value or filler stands anywhere
-in it, or when its own text is nothing but an error, block or maintenance message or a notice that
-scripts or another browser are needed. A sentence that talks about such things is no evidence.
+Lines are counted by host, digits and the site's name masked, and what recurs there as boilerplate is subtracted; what
+remains is the page's own text. A page is excluded when its residual holds a placeholder, an unrendered value, filler
+or a text to be replaced, or when it is a message: a line that recurs on several hosts and there stands alone, on pages without other
+sentences. Error texts, block and maintenance messages and notices that scripts are needed are such lines in any
+language; the text of a short but real page is not, since other pages do not print it. A line on two pages only is believed where the page
+serves much HTML for its few words. A sentence that talks about such things is no evidence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.language import FILLER
-from corpusmill.llm.main_content import decide, marked_lines
-
-# The notations of template languages and of values that were not rendered.
-PLACEHOLDER = (
-    r"\{\{[^{}]{1,60}\}\}|\{%[^%]{1,60}%\}|<%=?[^%]{1,60}%>|\$\{[^{}]{1,60}\}|\{\$\w{1,40}\}|\{\d{1,2}\}|\{[a-z]+(_[a-z]+)*\}|%[A-Z][A-Z_]{2,30}%|\[\[\w{2,40}\]\]"
-    r"|\b__[A-Z][A-Z_]{1,30}__|@@[A-Z][A-Z_]{1,30}@@|#[A-Z][A-Z_]{2,30}#|<[A-Z]{3,20}>"
-)
-UNRENDERED = r"\[object Object\]|\bundefined\b\W+\bundefined\b|:\s*undefined\s*$|\bNaN\b|\(null\b|:\s*null\s*$"
-# Texts that ask to be replaced, in the languages at hand.
-REPLACE_ME = (
-    r"\bTODO\b:|\bXXX\b|\[insert [^\]]{2,60}\]|your text here|click to edit|^\W*sample text\W*$|this is a sample|replace (it|this) with|^\W*heading \d\W*$|placeholder text|"
-    r"texto de ejemplo|sustituir antes de|texte de remplissage|à remplacer avant|texte d’exemple|blindtext|platzhaltertext|beispieltext|testo di (esempio|prova|riempimento)|"
-    r"testo segnaposto|voorbeeldtekst|opvultekst|plaatshoudertekst|texto de exemplo|substituir antes de|texto de preenchimento|образец текста|текст для замены|текст-заполнитель|(asdf\W+){2}"
-)
-FILLER_WORDS = "|".join(w for w in FILLER if len(w) > 2)
-
-
-def holds_residue(text: Column) -> Column:
-    """Whether a placeholder, an unrendered value or filler stands in the text otherwise than as a subject of a sentence."""
-    parts = F.split(text, r"(?<=[.!?…])\s+(?![a-z])|\n")
+from corpusmill.llm.main_content import DATED, EXTRA, THIN, each_page, marked_lines
 
-    def evidence(s: Column) -> Column:
-        words = F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
-        marks = F.regexp_count(s, F.lit(f"(?U)({PLACEHOLDER})"))
-        at_edge = s.rlike(rf"^\W*({PLACEHOLDER})") | s.rlike(rf"({PLACEHOLDER})\W*$")
-        marked = (marks > 0) & ~((marks == 1) & (words >= 9) & ~at_edge)
-        filler = F.regexp_count(F.lower(s), F.lit(rf"\b({FILLER_WORDS})\b"))
-        return marked | s.rlike(UNRENDERED) | (s.rlike(rf"(?iU){REPLACE_ME}") & (words <= 14)) | ((filler >= 4) & (filler * 2 >= words))
 
-    return F.coalesce(F.exists(parts, evidence), F.lit(False))
-
-
-def residue_pages(pages: DataFrame, key: str = "page_id", source: str = "site", own_words: int = 6, least_pages: int = 3, share: float = 0.1, repair: bool = True) -> DataFrame:
+def residue_pages(
+    pages: DataFrame, key: str = "page_id", source: str = "site", own_words: int = 6, bytes_a_word: int = 1000, least_pages: int = 3, share: float = 0.1, repair: bool = True
+) -> DataFrame:
     """``key, evidence`` of the pages to be left out: ``residue`` or ``message``.
 
-    A page's own text is a message when a message line is left after the boilerplate and the lines that
-    recur on the site, and at most ``own_words`` words stand in the other lines left. Pages without text are not judged.
+    A page's own text is a message when a line that usually stands alone is left after the boilerplate and the lines that
+    recur on the site, and at most ``own_words`` words stand in the other lines left. A line known from two pages counts where the page
+    has ``bytes_a_word`` bytes of HTML or more for each word. Pages without text are not judged; null bytes count as none.
     """
-    extra = {"residue": holds_residue(F.col("line"))}
-    by_page = marked_lines(pages.where(F.col("text").isNotNull()), key, source, least_pages, share, repair, extra)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, found = [], []
-            for i, page in enumerate(b.column(1).to_pylist()):
-                if any(x["residue"] for x in page):
-                    at.append(i)
-                    found.append("residue")
-                    continue
-                left = [x for x, out in zip(page, decide(page)) if not out and not x["exempt"] and (x["message"] or not x["dense"])]
-                if any(x["message"] for x in left) and sum(x["tokens"] for x in left if not x["message"]) <= own_words:
-                    at.append(i)
-                    found.append("message")
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["key", "evidence"])
-
-    return by_page.mapInArrow(run, f"key {dict(pages.dtypes)[key]}, evidence string").withColumnRenamed("key", key)
+    thin = (F.coalesce("html_bytes", F.lit(0)) >= bytes_a_word * F.greatest(F.coalesce("words", F.lit(0)), F.lit(1)))
+    rows = pages.where(F.col("text").isNotNull()).withColumn("thin", F.coalesce(thin, F.lit(False)))
+    by_page = marked_lines(rows, key, source, least_pages, share, repair)
+
+    def result(p, a, z, out):
+        if any(p["kind"][i] & EXTRA for i in range(a, z) if not p["template"][i]):
+            return [("residue",)]
+        alone = {i for i in range(a, z) if p["alone"][i] and (p["seen"][i] >= 3 or p["kind"][i] & THIN)}
+        left = [a + i for i, o in enumerate(out) if not o and not p["kind"][a + i] & DATED and (a + i in alone or not p["dense"][a + i])]
+        if not alone.isdisjoint(left) and sum(p["tokens"][i] for i in left if i not in alone) <= own_words:
+            return [("message",)]
+        return []
+
+    return each_page(by_page, key, "evidence string", result)
