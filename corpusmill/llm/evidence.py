@@ -46,9 +46,10 @@ def unfinished(line: str, tokens: int, most_words: int = 14) -> bool:
     """Whether a part of the line shows that it was never finished. A text to be replaced is one of at most ``most_words``
     words; a longer sentence writes about it. Cheap looks come first, so a line without any sign costs next to nothing."""
     signs = not _SIGNS.isdisjoint(line)
+    filler = not FILLER_WORDS.isdisjoint(line.lower().split())
     values = "undefined" in line or "NaN" in line or "null" in line or "[object" in line
     for part in _PARTS.split(line) if tokens > 12 else (line,):
         words = len(part.split())
-        if (signs and marked(part, words)) or (values and UNRENDERED.search(part)) or (words <= most_words and REPLACE_ME.search(part)) or filled(part, words):
+        if (signs and marked(part, words)) or (values and UNRENDERED.search(part)) or (words <= most_words and REPLACE_ME.search(part)) or (filler and filled(part, words)):
             return True
     return False

@@ -16,6 +16,7 @@ Counts live in tables of fixed size (hashed pairs), so what is broadcast does no
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,9 +219,9 @@ class Model:
                 g[j] = -6
             elif inner == "utf-8":
                 high = [c for c in new if c >= "\x80"]
-                good = sum(c != LOST and bool(self.good[FOLD[ord(c) & (CHARS - 1)]]) for c in high)
+                good = sum(c != LOST and bool(self.good[FOLD[min(ord(c), CHARS - 1)]]) for c in high)
                 if len(high) - good and (again := self.mapped(new, outer, inner)) and LOST not in again:  # wrongly decoded twice
-                    high, good = [good], max(good, sum(c >= "\x80" and bool(self.good[FOLD[ord(c) & (CHARS - 1)]]) for c in again))
+                    high, good = [good], max(good, sum(c >= "\x80" and bool(self.good[FOLD[min(ord(c), CHARS - 1)]]) for c in again))
                 g[j] = 5 * good - 1.25 * max(0, len(high) - good)
             elif new == word or plain:
                 g[j] = 0
@@ -320,6 +321,17 @@ class Model:
         return garbled, fixed, LOST not in fixed
 
 
+_MODELS: dict[str, Model] = {}
+
+
+def shared_model(name: str, counts) -> Model:
+    """The model of broadcast counts, one a Python worker, so that the tasks it runs one after the other share what it has seen."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = Model(*(x.astype(np.float64) for x in counts.value))
+    return _MODELS[name]
+
+
 def _parts(run: str) -> list[str]:
     """Words and white space, to be joined again."""
     out, word = [], ""
@@ -368,10 +380,10 @@ def repaired(rows: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("
     """
     spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in corpus_counts(rows, list(fields))))
-    names = list(fields)
+    names, name = list(fields), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*(x.astype(np.float64) for x in counts.value))
+        model = shared_model(name, counts)
         for b in batches:
             keys, field, restored, complete = [], [], [], []
             ids = b.column(0).to_pylist()

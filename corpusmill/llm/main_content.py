@@ -15,6 +15,7 @@ lines keep their place, and so do unfinished texts, which are problem 7. Text th
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.evidence import unfinished
-from corpusmill.llm.garbled import Model, corpus_counts
+from corpusmill.llm.garbled import corpus_counts, shared_model
 from corpusmill.operators.joins import lookup_join
 from corpusmill.session import materialize
 
@@ -103,7 +104,7 @@ def page_lines(pages: DataFrame, key: str, source: str, repair: bool, extra: Cal
     ``bare``: the block has no heading. ``first``: the first line of its kind on the page. ``rest``: letters in the
     page's sentences other than this line.
     """
-    spark = pages.sparkSession
+    spark, name = pages.sparkSession, uuid.uuid4().hex
     counts = None
     if repair:
         got = corpus_counts(pages.select(F.array_join(F.transform("blocks", lambda b: b.text), "\n").alias("t")), ["t"])
@@ -113,7 +114,7 @@ def page_lines(pages: DataFrame, key: str, source: str, repair: bool, extra: Cal
     kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*(x.astype(np.float64) for x in counts.value)) if counts else None
+        model = shared_model(name, counts) if counts else None
         known = items.value
         for b in batches:
             rows, owner = [], []
