@@ -380,10 +380,10 @@ def repaired(rows: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("
     """
     spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in corpus_counts(rows, list(fields))))
-    names, name = list(fields), uuid.uuid4().hex
+    names, model_name = list(fields), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared_model(name, counts)
+        model = shared_model(model_name, counts)
         for b in batches:
             keys, field, restored, complete = [], [], [], []
             ids = b.column(0).to_pylist()
