@@ -1,9 +1,12 @@
 """Repetition inside a single document (problem 10).
 
-Public vocabularies measure each text: characters per token, share of byte-fallback tokens and
-entropy of the tokens; documents outside their script's bands are rejected. Fertility alone cannot
-say which words stand in a repeat, so the share of repeated words is measured exactly beside it; a
-lossless entropy bound spares texts whose tokens are too varied to repeat that much.
+Public vocabularies measure each text: characters per token, share of byte-fallback tokens and entropy of the
+tokens; documents outside their script's bands are rejected. For the share of repeated words the entropy is that of
+runs of six tokens, of the words as they are compared: a text without repetition has the greatest there can
+be, and each run that occurred before takes away two parts in the number of runs at least. So the band below the greatest entropy that
+holds all documents with enough repetition is known for each document from its words and its fertility (tokens a
+word, which differs by language and script); nothing that repeats is outside of it. Documents in
+the band are the candidates, and the exact share of words confirms them.
 """
 
 from __future__ import annotations
@@ -17,20 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokenizer import TOKENIZERS, encoder
-from corpusmill.llm.words import CACHE_PIECES, WordHasher
+from corpusmill.llm.words import CACHE_PIECES, DIGITS, WORD, WordHasher
 
 RUN = 6
 MEASURES = "words bigint, repeat_share double, chars_per_token double, byte_fallback_share double, token_entropy double, script string"
 
 
+def _runs(ids: np.ndarray, run: int) -> np.ndarray:
+    """A hash of each run of ``run`` ids (none for fewer ids)."""
+    n = len(ids)
+    h = np.zeros(max(0, n - run + 1), np.uint64)
+    mixed = ids ^ (ids >> np.uint64(29))
+    for j in range(run if len(h) else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[j : n - run + 1 + j]
+    return h
+
+
 def repeat_share(words: np.ndarray, run: int = RUN) -> float:
     """Share of the words that lie in a run of ``run`` words equal to a run starting earlier (0 for fewer words)."""
     n = len(words)
     if n <= run:
         return 0.0
-    h = np.zeros(n - run + 1, np.uint64)
-    for j in range(run):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + (words[j : n - run + 1 + j] ^ (words[j : n - run + 1 + j] >> np.uint64(29)))
+    h = _runs(words, run)
     order = np.argsort(h, kind="stable")
     again = order[1:][h[order[1:]] == h[order[:-1]]]  # stable: the first of equal runs is the earliest
     if not len(again):
@@ -51,13 +62,22 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def may_repeat(token_entropy: float, tokens: int, words: int, share: float) -> bool:
-    """Whether ``share`` of the words can stand in repeats, given the entropy of the words' tokens.
+def run_deficit(ids: np.ndarray, run: int = RUN) -> float:
+    """Runs of ``run`` ids times the bits by which their entropy is below its greatest, the logarithm of their number."""
+    h = _runs(ids, run)
+    s = np.sort(h)
+    m = np.diff(np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])) if len(s) else np.empty(0, np.int64)
+    m = m[m > 1]
+    return float((m * np.log2(m)).sum())
+
 
-    Words in repeats occurred before, so they add no new token, and each has at least one: at most
-    ``tokens - share * words`` different tokens are left, whose entropy is at most the logarithm.
+def in_band(deficit: float, words: int, share: float, run: int = RUN) -> bool:
+    """Whether ``share`` of the words can stand in repeats.
+
+    They are covered by at least ``share * words / run`` runs of words that occurred before, and each begins a run of
+    tokens that occurred before. ``r`` repeated runs lower the entropy of ``n`` runs by at least ``2 r / n``.
     """
-    return token_entropy <= np.log2(max(1.0, tokens - share * words)) + 1e-9
+    return deficit >= 2 * share * words / run - 1e-6
 
 
 def script_of(text: str) -> str:
@@ -95,15 +115,31 @@ class _Fertility:
         return n, fallback
 
 
+class TokenHasher(WordHasher):
+    """Tokens of a text's words, each word as it is compared; the first token of a word is marked, so words can be counted."""
+
+    FIRST = 1 << 40
+
+    def __init__(self, enc):
+        super().__init__(digits=True)
+        self.enc = enc
+
+    def piece(self, piece: str) -> bytes:
+        out = []
+        for w in WORD.findall(DIGITS.sub("0", piece)):
+            ids = np.frombuffer(self.enc.encode_bytes(" " + w.lower()), np.int32).astype(np.uint64)
+            ids[0] += np.uint64(self.FIRST)
+            out.append(ids.tobytes())
+        return b"".join(out)
+
+
 _TOOLS: dict[str, tuple] = {}
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.0, folder: str = TOKENIZERS) -> DataFrame:
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """``key`` and the measures of every row.
 
-    ``share`` above 0 sets ``repeat_share`` to 0 without looking where the entropy bound shows that it
-    is below. Null, empty and blank texts have 0 words and 0 measures. Rows repeated under a key are
-    measured each.
+    Null, empty and blank texts have 0 words and 0 measures. Rows repeated under a key are measured each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +154,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", share: flo
                     continue
                 words = hasher.hashes(t)
                 ids = np.frombuffer(enc.encode_bytes(t), np.int32)
-                bits = entropy(ids)
                 pieces, fallback = fertility.counts(t)
-                # The bound speaks of words' own tokens; a word's hash stands for all of them.
-                possible = share <= 0 or may_repeat(entropy(words), len(words), len(words), share)
-                rows.append((len(words), repeat_share(words) if possible else 0.0, len(t) / max(1, len(ids)), fallback / max(1, pieces), bits, script_of(t)))
+                rows.append((len(words), repeat_share(words), len(t) / max(1, len(ids)), fallback / max(1, pieces), entropy(ids), script_of(t)))
             columns = [*zip(*rows)] or [[]] * 6
             kinds = [pa.int64(), *[pa.float64()] * 4, pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["key", *(m.split()[0] for m in MEASURES.split(", "))])
@@ -150,6 +183,25 @@ def banded(measured: DataFrame, width: float = 3.0, least_words: int = 20) -> Da
     return out.withColumn("rejected", F.coalesce(beyond & (F.col("words") >= least_words), F.lit(False))).select(*measured.columns, "rejected")
 
 
+_HASHERS: dict[str, tuple[TokenHasher, WordHasher]] = {}
+
+
 def repetitive(docs: DataFrame, least_words: int = 50, share: float = 0.3, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
-    """Keys of the documents of ``least_words`` or more words of which at least ``share`` stand in a repeat."""
-    return measure(docs, key, text, share, folder).where((F.col("words") >= least_words) & (F.col("repeat_share") >= share)).select(key)
+    """Keys of the documents of ``least_words`` or more words of which at least ``share`` stand in a repeat.
+
+    The entropy of token runs selects the candidates without loss, the exact share confirms them. Null and empty texts give no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if folder not in _HASHERS:
+            _HASHERS[folder] = TokenHasher(encoder(folder=folder)), WordHasher(digits=True)
+        tokens, words = _HASHERS[folder]
+        for b in batches:
+            keep = []
+            for t in b.column(1).to_pylist():
+                ids = tokens.hashes(t)
+                n = int(np.count_nonzero(ids >= np.uint64(TokenHasher.FIRST)))
+                keep.append(n >= least_words and in_band(run_deficit(ids), n, share) and repeat_share(words.hashes(t)) >= share)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["key"])
+
+    return docs.select(key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}").withColumnRenamed("key", key)
