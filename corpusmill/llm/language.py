@@ -159,11 +159,13 @@ def cut_label(label: str | None) -> str:
     return (label or "").split("-")[0].split("_")[0].lower()
 
 
-def train(sample: DataFrame, lang: str = "lang", text: str = "text", rounds: int = 5, most_rows: int = MOST_ROWS, order: str = "sample_id", pages: DataFrame | None = None, most_pages: int = 500, key: str = "page_id") -> Network:
+def train(sample: DataFrame, lang: str = "lang", text: str = "text", rounds: int = 5, most_rows: int = MOST_ROWS, order: str = "sample_id", pages: DataFrame | None = None, most_pages: int = 500, most_windows: int = 12, key: str = "page_id") -> Network:
     """A network from labelled rows (at most ``most_rows``, the first by ``order``); null labels and texts are left out.
 
     With ``pages`` a second network is fitted, which has also seen the lines of at most ``most_pages``
-    pages (the least by a hash of the key) whose label agrees with the first network: page furniture.
+    pages (the least by a hash of the key) whose label agrees with the first network: page furniture, at most
+    ``most_windows`` windows of each. A bound of the hash, set from the number of pages, leaves about twice as many
+    pages before they are ordered, so the driver and its tasks see no more.
     """
     rows = sample.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).orderBy(order).limit(most_rows).select(lang, text).collect()
     classes, x, y = training_set([(r[0], r[1]) for r in rows])
@@ -174,7 +176,10 @@ def train(sample: DataFrame, lang: str = "lang", text: str = "text", rounds: int
     if pages is None:
         return net
     more_x, more_y = [], []
-    some = pages.where(F.col("words") >= 40).orderBy(F.xxhash64(key), key).limit(most_pages).select("lang", F.transform("blocks", lambda b: b.text)).collect()
+    long_ = pages.where(F.col("words") >= 40)
+    bound = min(1 << 31, (2 * most_pages + 100) * (1 << 31) // max(1, long_.count()))
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    some = long_.where(h < bound).orderBy(h, key).limit(most_pages).select("lang", F.transform("blocks", lambda b: b.text)).collect()
     for label, blocks in some:
         lines = [t for b in blocks or () for t in (b or "").split("\n") if t.strip()]
         p = line_probabilities(net, lines)
@@ -186,7 +191,7 @@ def train(sample: DataFrame, lang: str = "lang", text: str = "text", rounds: int
             continue
         keep = [t for t, q in zip(lines, p) if q.argmax() == own or q.max() < 0.9]
         w, _ = windows(keep)
-        more_x.append(w[:12])
+        more_x.append(w[:most_windows])
         more_y.append(np.full(len(more_x[-1]), own))
     if more_x:
         net = Network(classes)
