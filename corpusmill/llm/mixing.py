@@ -72,9 +72,10 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, key: st
     spark = docs.sparkSession
     bits = LEVELS * BITS
     hashed = docs.select(key, "source", "tokens", F.shiftrightunsigned(F.xxhash64(key), 64 - bits).alias("hash"))
-    sized = materialize(hashed.where(F.col("source").isNotNull()), "mix")
+    listed = F.broadcast(targets.where("source is not null").select("source").distinct())  # one row a source that is asked for
+    sized = materialize(hashed.join(listed, "source", "left_semi").select(key, "source", "tokens", "hash"), "mix")
     goal = {r.source: (r.weight, r.max_repeats) for r in targets.where("source is not null").collect()}
-    have = {r.source: r.t for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect() if r.source in goal}
+    have = {r.source: r.t for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     want = budgets(have, goal, total)
     whole = {s: min(int(want[s] // have[s]), goal[s][1]) for s in want}
     rest = {s: want[s] - whole[s] * have[s] for s in want}
@@ -87,10 +88,11 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, key: st
     mixed = sized.join(F.broadcast(plan), "source").withColumn("copies", copies).where("copies > 0").select(key, "source", "tokens", "copies")
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.count(F.lit(1)).alias("documents"))
     at_hand = sized.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    all_tokens = got.agg(F.sum("mix_tokens").alias("__all"))
+    got = materialize(got, "reached")
+    every = got.agg(F.sum("mix_tokens")).first()[0]
     report = (
         targets.where("source is not null").select("source", "weight", "max_repeats")
-        .join(F.broadcast(at_hand), "source", "left").join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(all_tokens))
-        .select("source", "weight", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("source_tokens", "mix_tokens", "documents")), (F.coalesce("mix_tokens", F.lit(0)) / F.nullif(F.col("__all"), F.lit(0))).alias("share"))
+        .join(F.broadcast(at_hand), "source", "left").join(F.broadcast(got), "source", "left")
+        .select("source", "weight", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("source_tokens", "mix_tokens", "documents")), (F.coalesce("mix_tokens", F.lit(0)) / F.lit(every or None).cast("bigint")).alias("share"))
     )
     return mixed, report
