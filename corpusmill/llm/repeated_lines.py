@@ -121,10 +121,10 @@ def without_lines(pages: DataFrame, found: DataFrame, key: str = "page_id") -> D
     blocks = pages.where(F.col("text").isNotNull()).select(key, F.posexplode("blocks").alias("block_pos", "__b"))
     lines = blocks.select(key, "block_pos", F.col("__b.heading").alias("heading"), F.col("__b.level").alias("level"), F.posexplode(F.split("__b.text", "\n", -1)).alias("line_pos", "line"))
     kept = lines.join(found, [key, "block_pos", "line_pos"], "left_anti")
-    parts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_pos", "line_pos", "line", "heading", "level"))).alias("__p"))
-    own = F.transform(F.array_distinct(F.transform("__p", lambda p: p.block_pos)), lambda at: F.filter("__p", lambda p: p.block_pos == at))
-    blocks_again = F.transform(own, lambda ps: F.struct(F.get(ps, F.lit(0)).heading.alias("heading"), F.get(ps, F.lit(0)).level.alias("level"), F.array_join(F.transform(ps, lambda p: p.line), "\n").alias("text")))
-    parts = parts.select(key, blocks_again.alias("__blocks"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_pos", "line"))), lambda x: x.line), "\n")
+    whole = kept.groupBy(key, "block_pos").agg(F.first("heading").alias("heading"), F.first("level").alias("level"), joined.alias("text"))
+    entries = F.array_sort(F.collect_list(F.struct("block_pos", F.struct("heading", "level", "text").alias("b"))))
+    parts = whole.groupBy(key).agg(F.transform(entries, lambda x: x.b).alias("__blocks"))
     out = pages.select(key, F.col("text").alias("__text"), F.col("blocks").alias("__old")).join(parts, key, "left")
     has = F.col("__text").isNotNull()
     blocks_out = F.when(has, F.coalesce("__blocks", F.slice("__old", 1, 0))).otherwise(F.col("__old"))
