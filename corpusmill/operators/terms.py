@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import bigrams, tokens
 from corpusmill.operators.joins import lookup_join
 from corpusmill.operators.links import noindex
+from corpusmill.session import materialize
 
 
 def eligible(pages: DataFrame, least_words: int = 40) -> DataFrame:
@@ -28,7 +29,7 @@ def term_frequency(docs: DataFrame, text: str = "doc") -> DataFrame:
     ``total`` counts all unigrams and bigrams of the document. The arrays are built and exploded within the row, and the
     count is combined before the shuffle, as a document stands in one partition. Null texts give no row.
     """
-    rows = docs.select("site", "page_id", tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    rows = docs.select("site", "page_id", tokens(F.col(text)).alias("t"))
     both = F.concat(F.transform("t", lambda w, i: F.struct(w.alias("term"), F.lit(False).alias("is_bigram"), i.alias("pos"))), F.transform(bigrams(F.col("t")), lambda w, i: F.struct(w.alias("term"), F.lit(True).alias("is_bigram"), i.alias("pos"))))
     one = rows.select("site", "page_id", (2 * F.size("t") - 1).cast("bigint").alias("total"), F.explode(both).alias("x"))
     return one.groupBy("site", "page_id", "total", "x.term", "x.is_bigram").agg(F.min("x.pos").alias("first_pos"), F.count(F.lit(1)).alias("f")).select(
@@ -42,7 +43,10 @@ def document_frequency(tf: DataFrame) -> DataFrame:
 
 
 def weighted(docs: DataFrame, tf: DataFrame) -> DataFrame:
-    """``tf`` with ``weight``: share of the term in its document times ln(1 + documents / (1 + document frequency)), by site."""
+    """``tf`` with ``weight``: share of the term in its document times ln(1 + documents / (1 + document frequency)), by site.
+
+    The frequencies are written once, since they are counted and joined again."""
+    tf = materialize(tf, "terms")
     sizes = docs.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     df = lookup_join(document_frequency(tf), sizes, ["site"])
     return lookup_join(tf, df, ["site", "term"]).withColumn("weight", F.col("f") / F.col("total") * F.log(1 + F.col("n") / (1 + F.col("df"))))
