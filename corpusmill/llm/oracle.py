@@ -11,8 +11,28 @@ l AS (SELECT page_id, site, block_pos, unnest(ls) AS line, generate_subscripts(l
 n AS (SELECT page_id, site, block_pos, line_pos, {LINE} AS norm FROM l)"""
 
 
+SETS = rf"""{PAGE},
+v AS (SELECT DISTINCT page_id, 'headings' AS field, trim(regexp_replace(lower(h.text), '\s+', ' ', 'g')) AS v FROM (SELECT page_id, unnest(headings) AS h FROM page_once) WHERE trim(regexp_replace(lower(h.text), '\s+', ' ', 'g')) <> ''
+      UNION ALL
+      SELECT DISTINCT page_id, 'text' AS field, lower(w) AS v FROM (SELECT page_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS w FROM page_once) WHERE length(lower(w)) >= 3 AND NOT regexp_full_match(w, '\p{{Nd}}+')),
+c AS (SELECT field, page_id, count(*) AS n, md5(string_agg(v, chr(10) ORDER BY v)) AS whole FROM v GROUP BY ALL HAVING count(*) >= CASE field WHEN 'text' THEN 100 ELSE 6 END),
+m AS (SELECT field, page_id, n, min(page_id) OVER (PARTITION BY field, whole) AS class_id FROM c),
+k AS (SELECT v.field, v.page_id, v.v, m.n FROM v JOIN m ON v.field = m.field AND v.page_id = m.page_id WHERE m.class_id = m.page_id),
+pr AS (SELECT a.field, a.page_id AS a, b.page_id AS b FROM k a JOIN k b ON a.field = b.field AND a.v = b.v AND a.page_id < b.page_id
+  GROUP BY ALL HAVING count(*) >= CASE a.field WHEN 'text' THEN 0.75 ELSE 0.6 END * max(greatest(a.n, b.n)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_text": f"""WITH {LINES},
+t AS (SELECT site, count(*) AS pages FROM page_once WHERE text IS NOT NULL GROUP BY site),
+r AS (SELECT n.site, norm FROM n JOIN t USING (site) WHERE norm <> '' GROUP BY n.site, norm, t.pages
+      HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) >= 0.1 * t.pages),
+k AS (SELECT l.page_id, l.block_pos, string_agg(l.line, chr(10) ORDER BY l.line_pos) AS text FROM l JOIN n USING (page_id, block_pos, line_pos) ANTI JOIN r ON r.site = n.site AND r.norm = n.norm GROUP BY l.page_id, l.block_pos),
+w AS (SELECT page_id, string_agg(text, chr(10) ORDER BY block_pos) AS text, count(*) AS n FROM k GROUP BY page_id)
+SELECT p.page_id, CASE WHEN p.text IS NOT NULL THEN coalesce(w.text, '') END AS text, CAST(CASE WHEN p.text IS NOT NULL THEN coalesce(w.n, 0) ELSE coalesce(len(p.blocks), 0) END AS INT) AS blocks_left FROM page_once p LEFT JOIN w USING (page_id)""",
+        "p3_classes": f"""WITH {SETS}, e AS (SELECT field, a AS class_id FROM pr UNION ALL SELECT field, b FROM pr), d AS (SELECT field, class_id, count(*) AS links FROM e GROUP BY ALL)
+SELECT m.field, page_id, m.class_id, coalesce(links, 0) AS links FROM m LEFT JOIN d ON d.field = m.field AND d.class_id = m.class_id""",
         "p1_found": f"""WITH {LINES},
 t AS (SELECT site, count(*) AS pages FROM page_once WHERE text IS NOT NULL GROUP BY site),
 r AS (SELECT n.site, norm FROM n JOIN t USING (site) WHERE norm <> '' GROUP BY n.site, norm, t.pages

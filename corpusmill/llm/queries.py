@@ -26,6 +26,11 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_lines(rows, repeated_lines.repeated_lines(rows))
 
 
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the nested blocks, of which only the number left is told."""
+    return p1_clean(spark, d).select("page_id", "text", F.coalesce(F.size("blocks"), F.lit(0)).alias("blocks_left"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive(pages(spark, d, "title", "text"))
 
