@@ -236,6 +236,12 @@ CASE WHEN passages > 0 THEN coalesce(len(list_filter(images, lambda i: coalesce(
         "no_author": f"WITH {JSONLD} SELECT site, url FROM qe WHERE page_id NOT IN (SELECT page_id FROM ob WHERE json_exists(o, '$.author')) AND NOT regexp_matches(substring(coalesce(text, ''), 1, 1500), '{_BYLINE}')",
         "external_sources": rf"WITH {PAGE}, {QUOTABLE}, x AS (SELECT site, unnest(links) AS l FROM qe) SELECT site, lower(string_split(regexp_replace(coalesce(l.target, ''), '^https?://(www\.)?', ''), '/')[1]) AS host, count(*) AS links FROM x WHERE NOT coalesce(l.internal, false) GROUP BY ALL",
         "entity_links": rf"WITH {PAGE}, {QUOTABLE}, x AS (SELECT site, unnest(links) AS l FROM qe), h AS (SELECT site, lower(string_split(regexp_replace(coalesce(l.target, ''), '^https?://(www\.)?', ''), '/')[1]) AS host FROM x WHERE NOT coalesce(l.internal, false)), e AS (SELECT unnest([{_quote(ENTITY_HOSTS)}]) AS entity) SELECT site, entity, count(*) AS links FROM h JOIN e ON ends_with(host, entity) GROUP BY ALL",
+        "html_extract": f"""WITH {PAGE}, t AS (SELECT *, array_to_string(list_transform(coalesce(blocks, []), lambda b: coalesce(b.text, '')), ' ') AS body FROM pg WHERE text IS NOT NULL)
+SELECT site, url, {_strip(f"regexp_replace(coalesce(title, ''), '{WS}+', ' ', 'g')")} AS title, {_strip("coalesce(description, '')")} AS description, coalesce(lang, '') AS lang, lower({_strip("coalesce(robots_meta, '')")}) AS robots_meta, {_count_words("body")} AS words,
+len(list_filter(coalesce(blocks, []), lambda b: {_strip("coalesce(b.heading, '')")} <> '')) AS headings, coalesce(len(jsonld), 0) AS jsonld, coalesce(len(images), 0) AS images, len(list_filter(coalesce(images, []), lambda i: i.has_alt)) AS with_alt, coalesce(len(links), 0) AS links,
+len(list_filter(coalesce(links, []), lambda l: regexp_replace({HOST.format("l.target")}, '^www[.]', '') = regexp_replace({HOST.format("site")}, '^www[.]', ''))) AS internal, len(list_filter(coalesce(links, []), lambda l: regexp_matches(l.target, '(?i)[.]({ASSET_ENDINGS})([?]|$)'))) AS assets,
+len(list_filter(coalesce(links, []), lambda l: coalesce(l.nofollow, false))) AS nofollow, coalesce(len(links), 0) AS boilerplate FROM t""",
+        "sitemap_urls": r"SELECT DISTINCT site, unnest(sitemap) AS url FROM corpus",
         "crawler_access": _access(),
         "llms_files": r"SELECT site, path, coalesce(status BETWEEN 200 AND 399, false) AND (contains(coalesce(content_type, ''), 'text/plain') OR starts_with(ltrim(coalesce(body, ''), chr(10) || chr(13) || chr(9) || ' '), '#')) AS present, CASE WHEN status BETWEEN 200 AND 399 THEN CAST(coalesce(octet_length(encode(body)), 0) AS BIGINT) ELSE 0 END AS bytes FROM site_file WHERE path IN ('/llms.txt', '/llms-full.txt')",
         "declared_sitemaps": rf"SELECT site, unnest(regexp_extract_all(body, '(?im)^\s*sitemap:\s*(\S+)', 1)) AS sitemap FROM site_file WHERE path = '/robots.txt' AND status BETWEEN 200 AND 399 AND body IS NOT NULL AND NOT contains(coalesce(content_type, ''), 'html')",

@@ -13,6 +13,7 @@ from corpusmill.functions import urls
 from corpusmill.operators import access, cards, graph, links, quotability, similarity, terms
 from corpusmill.plans.oracle import oracle_sql  # noqa: F401
 from corpusmill.session import materialize
+from corpusmill.sources.html import extract
 from corpusmill.sources.tables import pages, read_table
 
 _GRAPH = ("site", "url", "final_url", "status", "redirects", "links", "words")
@@ -434,6 +435,64 @@ def declared_sitemaps(spark, d):
     return access.declared_sitemaps(_files(spark, d))
 
 
+# HTML.
+
+
+def _escaped(c):
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(raw), F.lit(name))
+    return c
+
+
+def _rendered(rows):
+    """Each page written as HTML: its parts in a head, the links in a menu, the blocks under their headings."""
+
+    def text(c):
+        return _escaped(F.coalesce(c, F.lit("")))
+
+    def every(column, f):
+        return F.coalesce(F.array_join(F.transform(column, f), ""), F.lit(""))
+
+    block = lambda b: F.concat(F.when(text(b.heading) != "", F.concat(F.lit("<h2>"), text(b.heading), F.lit("</h2>"))).otherwise(F.lit("")), F.lit("<p>"), text(b.text), F.lit("</p>"))
+    link = lambda x: F.concat(F.lit('<a rel="'), F.when(x.nofollow, F.lit("NoFollow")).otherwise(F.lit("")), F.lit('" href="'), text(x.target), F.lit('">'), text(x.anchor), F.lit("</a>"))
+    image = lambda x: F.concat(F.lit('<img src="'), text(x.src), F.when(x.has_alt, F.concat(F.lit('" alt="'), text(x.alt))).otherwise(F.lit("")), F.lit('">'))
+    data = lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
+    return F.concat(
+        F.lit('<html lang="'), text(F.col("lang")), F.lit('"><head><title>'), text(F.col("title")), F.lit('</title><meta name="description" content="'), text(F.col("description")),
+        F.lit('"><meta name="robots" content="'), text(F.upper("robots_meta")), F.lit('"><link rel="canonical" href="'), text(F.col("canonical")), F.lit('">'), every("jsonld", data),
+        F.lit("</head><body><nav>"), every("links", link), every("images", image), F.lit("</nav>"), every("blocks", block), F.lit("<script>if (1 < 2) { hide(); }</script></body></html>"),
+    )
+
+
+def html_extract(spark, d):
+    """Every page that has a text, written as HTML and read again."""
+    names = ("site", "url", "final_url", "status", "text", "title", "description", "lang", "canonical", "robots_meta", "jsonld", "links", "images", "blocks")
+    rows = pages(spark, d, *names).where("text is not null")
+    page = rows.select("site", "page_id", "url", "final_url", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.array().cast("array<string>").alias("redirects"),
+                       F.lit("text/html; charset=utf-8").alias("content_type"), F.lit(0).cast("bigint").alias("html_bytes"), F.lit("").alias("x_robots_tag"), F.encode(_rendered(rows), "utf-8").alias("body"))
+    got = extract(page)
+
+    def number(c):
+        return F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+
+    return got.select(
+        "site", "url", "title", "description", "lang", "robots_meta", "words", number(F.filter("headings", lambda h: h.text != "")).alias("headings"), number("jsonld").alias("jsonld"), number("images").alias("images"),
+        number(F.filter("images", lambda i: i.has_alt)).alias("with_alt"), number("links").alias("links"), number(F.filter("links", lambda x: x.internal)).alias("internal"),
+        number(F.filter("links", lambda x: x.asset)).alias("assets"), number(F.filter("links", lambda x: x.nofollow)).alias("nofollow"), number(F.filter("links", lambda x: x.boilerplate)).alias("boilerplate"),
+    )
+
+
+def sitemap_urls(spark, d):
+    """The site files hold no sitemap, so each corpus' own is written as one, behind an index, and expanded again."""
+    c = _corpus(spark, d).where(F.size("sitemap") > 0)
+    root = F.regexp_extract("site", "^(https?://[^/]+)", 1)
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform("sitemap", lambda u: F.concat(F.lit("<url><loc> "), _escaped(u), F.lit("\n</loc></url>"))), ""), F.lit("</urlset>"))
+    index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), root, F.lit("/maps/one.xml</loc></sitemap></sitemapindex>"))
+    ok, kind = F.lit(200).alias("status"), F.lit("application/xml").alias("content_type")
+    files = c.select("site", F.lit("/maps/one.xml").alias("path"), ok, kind, body.alias("body")).unionByName(c.select("site", F.lit("/sitemap_index.xml").alias("path"), ok, kind, index.alias("body")))
+    return access.sitemap_urls(files)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
     return own

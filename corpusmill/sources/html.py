@@ -210,20 +210,20 @@ def extract(responses: DataFrame, sitemap: DataFrame | None = None) -> DataFrame
     """
     fetch = ("site", "url", "final_url", "status", "error", "redirects", "content_type", "html_bytes", "x_robots_tag")
     p = parsed(responses, *fetch)
-    base = F.coalesce("final_url", "url")
-    seen = F.filter(F.col("parsed.links"), lambda x: is_followed(x.href) & is_http(resolve(base, x.href)))
+    p = p.withColumn("__base", F.coalesce("final_url", "url")).withColumn("__host", hostname(F.col("site")))
+    # Each step is a transform of its own, so that an address is resolved once however often it is used.
+    seen = F.transform(F.filter("parsed.links", lambda x: is_followed(x.href)), lambda x: F.struct(resolve(F.col("__base"), x.href).alias("t"), x.anchor.alias("anchor"), x.rel.alias("rel"), x.boilerplate.alias("boilerplate")))
+    seen = F.transform(F.filter(seen, lambda x: is_http(x.t)), lambda x: F.struct(x.t.alias("t"), same_site(x.t, F.col("__host")).alias("inner"), x.anchor.alias("anchor"), x.rel.alias("rel"), x.boilerplate.alias("boilerplate")))
 
     def link(x):
-        target = resolve(base, x.href)
-        inner = same_site(target, hostname(F.col("site")))
         return F.struct(
-            F.when(inner, normalise(target)).otherwise(target).alias("target"), x.anchor.alias("anchor"), x.rel.alias("rel"), x.boilerplate.alias("boilerplate"),
-            inner.alias("internal"), is_asset(target).alias("asset"), F.contains(x.rel, F.lit("nofollow")).alias("nofollow"),
+            F.when(x.inner, normalise(x.t)).otherwise(x.t).alias("target"), x.anchor.alias("anchor"), x.rel.alias("rel"), x.boilerplate.alias("boilerplate"),
+            x.inner.alias("internal"), is_asset(x.t).alias("asset"), F.contains(x.rel, F.lit("nofollow")).alias("nofollow"),
         )
 
     empty_links = F.array().cast("array<struct<target:string,anchor:string,rel:string,boilerplate:boolean,internal:boolean,asset:boolean,nofollow:boolean>>")
     text = F.array_join(F.transform(F.col("parsed.blocks"), lambda b: b.text), " ")
-    canonical = F.when(F.col("parsed.canonical") == "", F.lit("")).otherwise(normalise(resolve(base, F.col("parsed.canonical"))))
+    canonical = F.when(F.col("parsed.canonical") == "", F.lit("")).otherwise(normalise(resolve(F.col("__base"), F.col("parsed.canonical"))))
     plain = ("title", "description", "lang", "hreflang", "robots_meta", "headings", "jsonld", "images", "og", "dates", "n_tables", "n_lists", "n_paragraphs")
     ok = F.col("parsed").isNotNull() & F.col("parsed.parse_error").isNull()
     out = p.select(
