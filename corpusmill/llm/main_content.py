@@ -74,7 +74,10 @@ def is_steps(line: str) -> bool:
 def is_sentence(line: str, tokens: int) -> bool:
     """Six or more words that end like a sentence, or so many that they are text, and no steps or items with marks between them."""
     ends = tokens >= LONG or tokens >= SENTENCE and (line.rstrip(" \t\xa0>•!")[-1:] in ENDS or line.endswith("!"))
-    return ends and not is_steps(line) and len(STEPS.findall(line)) < 2
+    if not ends or is_steps(line) or len(STEPS.findall(line)) >= 2:
+        return False
+    items = len(BETWEEN.findall(line)) + 1
+    return items < 4 or tokens > 2 * items
 
 
 def is_navigation(line: str, items: frozenset[str]) -> bool:
@@ -158,7 +161,7 @@ def recurring_lines(lines: DataFrame, totals: DataFrame, source: str, least_page
 
     ``dense``: on ``least_pages`` pages and ``share`` of the source's pages. ``template``: dense somewhere, on two
     sources or more, and mostly where it is dense. ``notice``: speaks of scripts, on two sources or more.
-    ``alone``: on two sources or more, on a third of its pages without other sentences; ``seen`` is on how many pages in all. Counts are combined before the shuffle.
+    ``alone``: on three sources or more, on a third of its pages without other sentences; ``seen`` is on how many pages in all. Counts are combined before the shuffle.
     """
     first = F.col("first")
     scripts = F.max(F.col("kind").bitwiseAND(SCRIPTS) > 0).alias("scripts")
@@ -170,19 +173,20 @@ def recurring_lines(lines: DataFrame, totals: DataFrame, source: str, least_page
         F.sum(F.when(F.col("dense"), F.col("pages")).otherwise(0)).alias("dense_pages"), F.max("scripts").alias("scripts"), F.sum("alone").alias("alone_pages"),
     )
     several = F.col("sources") >= 2
-    alone = several & (3 * F.col("alone_pages") >= F.col("all_pages"))
+    alone = (F.col("sources") >= 3) & (3 * F.col("alone_pages") >= F.col("all_pages"))
     template = (F.col("sources") >= 2) & (F.col("dense_sources") >= 1) & ((F.col("dense_sources") >= 3) | (F.col("dense_pages") >= 0.3 * F.col("all_pages")))
     notice = several & F.col("scripts")
     kept = everywhere.select("h", template.alias("template"), notice.alias("notice"), alone.alias("alone"), F.col("all_pages").alias("seen"), (F.col("dense_sources") > 0).alias("any")).where("template or notice or alone or any")
     return by_source.select(source, "h", "dense").join(kept, "h").where("template or notice or alone or dense").select(source, "h", "template", "dense", "notice", "alone", "seen")
 
 
-def decide(block: list[int], bare: list[bool], length: list[int], tokens: list[int], kind: list[int], stripped: list[bool]) -> list[bool]:
-    """For each line of a page, in order, whether it is not main content: stripped, or outside of every surge of the window sums."""
+def decide(block: list[int], bare: list[bool], length: list[int], kind: list[int], dense: list[bool], stripped: list[bool]) -> list[bool]:
+    """For each line of a page, in order, whether it is not main content: stripped, or outside of every surge of the window sums. Whether
+    the page has text at all is judged without dates and what the site prints on many pages."""
     n = len(block)
     out = list(stripped)
     weight = [0 if out[i] else length[i] if not bare[i] or kind[i] & (SENTENCES | DATED) else 0 for i in range(n)]
-    if sum(w for i, w in enumerate(weight) if not kind[i] & DATED) < SURGE:
+    if sum(w for i, w in enumerate(weight) if not (kind[i] & DATED or dense[i])) < SURGE:
         return out
     for i in range(n):
         if not out[i] and not weight[i]:
@@ -202,16 +206,19 @@ def marked_lines(pages: DataFrame, key: str, source: str, least_pages: int, shar
     known = materialize(recurring_lines(lines, totals, source, least_pages, share), "recurring")
     marked = lookup_join(lines, known, [source, "h"], "left")
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("template", "dense", "notice", "alone")]
-    entry = F.struct("block_pos", "line_pos", "bare", "length", "tokens", "kind", "rest", F.coalesce("seen", F.lit(0)).alias("seen"), *flags)
+    entry = F.struct("block_pos", "line_pos", "bare", "length", "tokens", "kind", F.coalesce("seen", F.lit(0)).alias("seen"), *flags)
     return marked.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("lines"))
 
 
 def _stripped(p: dict[str, list], a: int, z: int) -> list[bool]:
+    """What is stripped before the sums. Template lines and notices that usually stand alone are the page's own text where it has hardly other sentences of its own."""
+    kind, template, dense, alone = p["kind"], p["template"], p["dense"], p["alone"]
+    own = sum(p["length"][i] for i in range(a, z) if kind[i] & SENTENCES and not (template[i] or dense[i] or alone[i]))
+    full = own >= 2 * SURGE
     out = []
     for i in range(a, z):
-        nav = p["kind"][i] & NAVIGATION and p["bare"][i]
-        notice = p["notice"][i] and p["rest"][i] >= 2 * SURGE
-        out.append(not p["kind"][i] & (DATED | EXTRA) and bool((p["template"][i] and not (p["alone"][i] and p["rest"][i] < 2 * SURGE)) or nav or notice))
+        nav = kind[i] & NAVIGATION and p["bare"][i]
+        out.append(not kind[i] & (DATED | EXTRA) and bool(template[i] and (full or not alone[i]) or nav or p["notice"][i] and full))
     return out
 
 
@@ -231,7 +238,7 @@ def each_page(by_page: DataFrame, key: str, schema: str, result: Callable) -> Da
             rows, owner = [], []
             for i, (a, z) in enumerate(zip(ends, ends[1:])):
                 a, z = a - base, z - base
-                out = decide(*(p[c][a:z] for c in ("block_pos", "bare", "length", "tokens", "kind")), _stripped(p, a, z))
+                out = decide(*(p[c][a:z] for c in ("block_pos", "bare", "length", "kind", "dense")), _stripped(p, a, z))
                 got = result(p, a, z, out)
                 rows += got
                 owner += [i] * len(got)

@@ -32,7 +32,7 @@ def table(spark):
             if i in (4, 5):
                 blocks[1] = ("Head", 2, own(i, s) + "\n" + SCRIPT)
             rows.append(page(100 * s + i, site, blocks))
-        rows.append(page(100 * s + 50, site, [("", 0, MENU), ("", 0, DOWN)]))
+        rows.append(page(100 * s + 50, site, [("", 0, MENU), ("", 0, DOWN)], 30_000))
         rows.append(page(100 * s + 60, site, [("", 0, f"Garden works from {s + 4} euros {'klmn'[s] * 3}")], 90_000))
     return spark.createDataFrame(rows, PAGE)
 
