@@ -17,7 +17,7 @@ from corpusmill.llm.main_content import DATED, EXTRA, THIN, each_page, marked_li
 
 
 def residue_pages(
-    pages: DataFrame, key: str = "page_id", source: str = "site", own_words: int = 8, often: int = 10, bytes_a_word: int = 1000, least_pages: int = 3, share: float = 0.1, repair: bool = True
+    pages: DataFrame, key: str = "page_id", source: str = "site", own_words: int = 8, often: int = 3, bytes_a_word: int = 1000, least_pages: int = 3, share: float = 0.1, repair: bool = True
 ) -> DataFrame:
     """``key, evidence`` of the pages to be left out: ``residue`` or ``message``.
 
